@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general
+from . import general, sequences
 
-_MODULES = (general,)
+_MODULES = (general, sequences)
 
 
 def queries() -> dict:
