@@ -36,7 +36,7 @@ SWITCH = 7.0
 LEAD = 9.0
 #: Words after which a unit ends even without punctuation.
 UNIT_WORDS = 10
-#: Longer words are scored as several, each within the range of double precision.
+#: Longer runs of letters are no words of any of the languages and speak for none.
 LONGEST_WORD = 40
 #: A word that touches one of these signs, or a figure, belongs to a formula or to markup and speaks for no language.
 SIGNS = "&\\<>/=_{}[]^$|#@+*~"
@@ -181,13 +181,8 @@ class Scorer:
         near = kind == NUMBER
         near[kind == OTHER] = np.isin(cp[kind == OTHER], _SIGN_POINTS)
         before, after = near[np.maximum(starts - 1, 0)] & (starts > 0), near[np.minimum(ends, len(cp) - 1)] & (ends < len(cp))
-        plain = ~(before | after) | (kind[starts] == HAN)
+        plain = (~(before | after) | (kind[starts] == HAN)) & (ends - starts <= LONGEST_WORD)
         starts, ends = starts[plain], ends[plain]
-        long = np.flatnonzero(ends - starts > LONGEST_WORD)
-        if len(long):
-            more = [np.arange(starts[i] + LONGEST_WORD, ends[i], LONGEST_WORD) for i in long]
-            cuts = np.concatenate(more)
-            starts, ends = np.sort(np.concatenate((starts, cuts))), np.sort(np.concatenate((ends, cuts)))
         low = lower_case()[cp]
         return starts, ends, fingerprints(low, starts, ends), low
 
