@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 
@@ -134,3 +136,7 @@ def to_numeric(kmer: str) -> tuple[int, int]:
     if not len(at):
         raise ValueError("not a base")
     return int(forward[0]), int(reverse[0])
+
+
+#: The two codec functions under the name by which they are commonly imported.
+utils = SimpleNamespace(to_acgt=to_acgt, to_numeric=to_numeric)
