@@ -145,20 +145,23 @@ def canonical_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     owners, values = [], []
     for code, bounds, row, _, _ in stretches(texts, k):
         at, forward, reverse = kmers(code, bounds, k)
-        owner, value = _distinct(row[np.searchsorted(bounds, at, "right") - 1], np.minimum(forward, reverse).astype(np.int64), k)
+        owner, value, _ = tally(row[np.searchsorted(bounds, at, "right") - 1], np.minimum(forward, reverse).astype(np.int64), k)
         if owners and len(owner) and len(owners[-1]) and owners[-1][-1] == owner[0]:  # parts of one long text
-            owner, value = _distinct(np.concatenate((owners.pop(), owner)), np.concatenate((values.pop(), value)), k)
+            owner, value, _ = tally(np.concatenate((owners.pop(), owner)), np.concatenate((values.pop(), value)), k)
         owners.append(owner)
         values.append(value)
     owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
     return np.concatenate(values) if values else owner, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def _distinct(owner: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(owner) and int(owner.max()).bit_length() + 2 * k < 63:  # both fit one word
-        both = np.unique(owner << (2 * k) | value)
-        return both >> (2 * k), both & ((1 << 2 * k) - 1)
+def tally(owner: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of owner and k-mer in order, and how often each occurs."""
+    if not len(owner):
+        return owner, value, owner
+    if int(owner.max()).bit_length() + 2 * k < 63:  # both fit one word, which sorts much faster
+        both, times = np.unique(owner << (2 * k) | value, return_counts=True)
+        return both >> (2 * k), both & ((1 << 2 * k) - 1), times
     order = np.lexsort((value, owner))
     owner, value = owner[order], value[order]
-    keep = np.append(True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1]))[: len(owner)]
-    return owner[keep], value[keep]
+    heads = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])))
+    return owner[heads], value[heads], np.diff(np.append(heads, len(owner)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..kernels import check_k, kmers, stretches
+from ..session import spread
 
 
 def kmer_counts(df: DataFrame, k: int, seq: str = "seq", acgt: bool = False) -> DataFrame:
@@ -28,7 +29,8 @@ def kmer_counts(df: DataFrame, k: int, seq: str = "seq", acgt: bool = False) ->
                 value, count = np.unique(np.minimum(forward, reverse), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(count)], names=["kmer", "part"])
 
-    parts = df.select(F.col(seq).cast("string").alias("_seq")).where(F.length("_seq") >= k).mapInArrow(run, "kmer bigint, part bigint")
+    rows = spread(df.select(F.col(seq).cast("string").alias("_seq"))).where(F.length("_seq") >= k)
+    parts = rows.mapInArrow(run, "kmer bigint, part bigint")
     return _named(parts.groupBy("kmer").agg(F.sum("part").alias("count")), k, acgt)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..kernels import check_k, kmers, stretches
+from ..kernels import check_k, kmers, stretches, tally
 from .counter import kmer_counts
 from .kmers import kind_of, scan
 
@@ -23,12 +23,8 @@ def sequence_kmers(df: DataFrame, k: int, key: str = "n", seq: str = "seq") -> D
         for code, bounds, rows, _, _ in stretches(texts, k):
             at, forward, reverse = kmers(code, bounds, k)
             owner = np.searchsorted(bounds, at, "right") - 1
-            value = np.minimum(forward, reverse).astype(np.int64)
-            order = np.lexsort((value, owner))
-            owner, value = owner[order], value[order]
-            heads = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1]))[: len(owner)])
-            times = np.diff(np.append(heads, len(owner)))
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows[owner[heads]])), pa.array(value[heads]), pa.array(times)], names=[key, "kmer", "times"])
+            owner, value, times = tally(owner, np.minimum(forward, reverse).astype(np.int64), k)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows[owner])), pa.array(value), pa.array(times)], names=[key, "kmer", "times"])
 
     return scan(df, key, seq, rows_of, f"`{key}` {kind_of(df, key)}, kmer bigint, times bigint")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..kernels import check_k, kmers, stretches
+from ..session import spread
 
 
 def scan(df: DataFrame, key: str, seq: str, rows_of, schema: str) -> DataFrame:
@@ -20,7 +21,7 @@ def scan(df: DataFrame, key: str, seq: str, rows_of, schema: str) -> DataFrame:
         for batch in batches:
             yield from rows_of(batch.column(0), batch.column(1))
 
-    return df.select(F.col(key).alias("_key"), F.col(seq).cast("string").alias("_seq")).mapInArrow(run, schema)
+    return spread(df.select(F.col(key).alias("_key"), F.col(seq).cast("string").alias("_seq"))).mapInArrow(run, schema)
 
 
 def kind_of(df: DataFrame, key: str) -> str:

@@ -69,3 +69,21 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
 def tasks(spark: SparkSession) -> int:
     """Number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a small table out to all cores where its few files would leave most of them idle.
+
+    Only a table in fewer files than cores, and by Spark's own estimate smaller than one input partition, is moved (so the
+    exchange is bounded by that size); anything else, streams included, is left as it is scanned. Rows lose their order.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if 0 < files < cores and int(str(size)) < most:
+        return df.repartition(cores)
+    return df
