@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .spans import HAN, LETTER, NUMBER, OTHER, SpanCache, blocks, fingerprints, lower_case, word_classes
 from .tokens import PerfectHash, vocabulary_path
 
@@ -394,7 +395,7 @@ def _run(df: DataFrame, model: Model, key: str, text: str, rows_of, schema: str)
             yield rows_of(scorer, batch.column(0), batch.column(1))
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text).cast("string").alias("_text")).mapInArrow(run, f"`{key}` {kind}, {schema}")
+    return spread(df.select(F.col(key), F.col(text).cast("string").alias("_text"))).mapInArrow(run, f"`{key}` {kind}, {schema}")
 
 
 def _names(lang: np.ndarray, languages: tuple[str, ...]) -> pa.Array:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .spans import SpanCache, blocks, fingerprints, mix, pretoken_starts
 
 #: Folder of the public tokenizers' files; the environment variable overrides it.
@@ -238,8 +239,8 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", out: s
 
     Strings that look like special tokens are ordinary text. Null and empty texts have an empty list, blank text is
     encoded like any other, repeated rows come out as often as they came in, an empty table gives an empty table. Other
-    columns are left aside, so a column of the input that is called ``out`` does no harm. One pass over the scan: no
-    shuffle, and only the two columns are read.
+    columns are left aside, so a column of the input that is called ``out`` does no harm. One pass over the scan, without
+    a shuffle (a small table in few files is dealt out to all cores first), and only the two columns are read.
     """
     shipped = _Shipped(df, path or vocabulary_path())
 
@@ -249,7 +250,8 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", out: s
             yield pa.RecordBatch.from_arrays([batch.column(0), encoder.encode(batch.column(1))], names=[key, out])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text).cast("string").alias("_text")).mapInArrow(run, f"`{key}` {kind}, `{out}` array<int>")
+    rows = spread(df.select(F.col(key), F.col(text).cast("string").alias("_text")))
+    return rows.mapInArrow(run, f"`{key}` {kind}, `{out}` array<int>")
 
 
 def count_tokens(df: DataFrame, keep: list[str], text: str = "text", out: str = "n_tokens", path: str | None = None) -> DataFrame:
@@ -263,4 +265,5 @@ def count_tokens(df: DataFrame, keep: list[str], text: str = "text", out: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], counts], names=[*keep, out])
 
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
-    return df.select(*[F.col(k) for k in keep], F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{kinds}, `{out}` bigint")
+    rows = spread(df.select(*[F.col(k) for k in keep], F.col(text).cast("string").alias("_text")))
+    return rows.mapInArrow(run, f"{kinds}, `{out}` bigint")
