@@ -35,6 +35,8 @@ WORD_CLAMP = 7.0
 SWITCH = 7.0
 #: Least lead of a segment's language over the next one, in nats; below it the segment has no language.
 LEAD = 9.0
+#: Characters below which a run between two of one other language is taken as foreign words within them.
+ISLAND = 20
 #: Words after which a unit ends even without punctuation.
 UNIT_WORDS = 10
 #: Longer runs of letters are no words of any of the languages and speak for none.
@@ -283,14 +285,28 @@ def _confidence(sums: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.nda
     return best, 1 / scaled.sum(1), lead
 
 
+def _runs(row: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    heads = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (lang[1:] != lang[:-1])))
+    return heads, np.append(heads[1:], len(row)) - 1
+
+
 def segments(units: dict[str, np.ndarray], switch: float = SWITCH, lead: float = LEAD) -> dict[str, np.ndarray]:
-    """Runs of units in one language: row, start, end, lang (-1 where the lead is too small), confidence."""
+    """Runs of units in one language: row, start, end, lang (-1 where the lead is too small), confidence.
+
+    A foreign word or two between parts of one language belong to them.
+    """
     lang = decode(units["row"], units["scores"], switch)
     if not len(lang):
         return {k: np.zeros(0, float if k == "confidence" else np.int64) for k in ("row", "start", "end", "lang", "confidence")}
     row = units["row"]
-    heads = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (lang[1:] != lang[:-1])))
-    tails = np.append(heads[1:], len(row)) - 1
+    heads, tails = _runs(row, lang)
+    inner = np.flatnonzero(units["end"][tails] - units["start"][heads] < ISLAND)
+    inner = inner[(inner > 0) & (inner < len(heads) - 1)]
+    before, after = heads[inner - 1], heads[np.minimum(inner + 1, len(heads) - 1)]
+    alone = (row[before] == row[heads[inner]]) & (row[after] == row[heads[inner]]) & (lang[before] == lang[after])
+    for i in inner[alone]:
+        lang[heads[i] : tails[i] + 1] = lang[heads[i - 1]]
+    heads, tails = _runs(row, lang)
     sums = np.add.reduceat(units["scores"], heads, axis=0)
     words = np.add.reduceat(units["words"], heads)
     best, confidence, ahead = _confidence(sums, words)
