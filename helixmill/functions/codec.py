@@ -96,11 +96,18 @@ SQL_FUNCTIONS = {
     "kmer_canonical(s STRING) RETURNS STRING": "least(s, reverse(translate(s, 'ACGT', 'TGCA')))",
     "kmer_encode(s STRING) RETURNS BIGINT": "if(s rlike '^[ACGT]{1,31}$', cast(conv(translate(s, 'ACGT', '0123'), 4, 10) as bigint), null)",
     "kmer_decode(c BIGINT, k INT) RETURNS STRING": "translate(lpad(conv(cast(c as string), 10, 4), k, '0'), '0123', 'ACGT')",
+    "kmer_table(s STRING, k INT) RETURNS TABLE (pos INT, kmer STRING)": """SELECT pos, least(f, reverse(translate(f, 'ACGT', 'TGCA')))
+        FROM (SELECT posexplode(if(length(t) >= k, transform(sequence(1, length(t) - k + 1), i -> substring(t, i, k)), array())) AS (pos, f)
+            FROM (SELECT regexp_replace(translate(s, 'acgtuU', 'ACGTTT'), '[^ACGT]', 'N') AS t))
+        WHERE f rlike '^[ACGT]+$'""",
     "kmer_windows(s STRING, k INT) RETURNS ARRAY<STRING>": "if(length(s) >= k, transform(sequence(1, length(s) - k + 1), i -> substring(s, i, k)), array())",
 }
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the functions known to Spark SQL for this session."""
+    """Makes the functions known to Spark SQL for this session.
+
+    ``kmer_table`` is a table function for LATERAL joins: ``SELECT n, pos, kmer FROM sequences, LATERAL kmer_table(seq, 15)``.
+    """
     for head, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

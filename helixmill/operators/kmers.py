@@ -14,6 +14,10 @@ from ..kernels import check_k, kmers, stretches
 from ..session import spread
 
 
+#: Windows of a stretch when built-in expressions cut a sequence.
+STRETCH = 512
+
+
 def scan(df: DataFrame, key: str, seq: str, rows_of, schema: str) -> DataFrame:
     """Runs ``rows_of`` (Arrow key column, Arrow text column -> record batches) over two columns of ``df``."""
 
@@ -43,12 +47,17 @@ def kmer_pairs(df: DataFrame, k: int, key: str = "n", seq: str = "seq") -> DataF
 
 
 def kmer_windows(df: DataFrame, k: int, key: str = "n", seq: str = "seq") -> DataFrame:
-    """Columns ``key``, pos, kmer (canonical text): the same windows by built-in expressions alone."""
+    """Columns ``key``, pos, kmer (canonical text): the same windows by built-in expressions alone.
+
+    Long sequences are cut into overlapping stretches first, for a place in a text is found by counting from its start.
+    """
     check_k(k)
-    plain = df.select(F.col(key), codec.normalise(F.col(seq)).alias("_s"))
-    windows = F.when(F.length("_s") >= k, F.transform(F.sequence(F.lit(0), F.length("_s") - k), lambda i: F.substring(F.col("_s"), i + 1, F.lit(k))))
-    exploded = plain.select(F.col(key), F.posexplode(windows).alias("pos", "_f")).where(codec.is_clean(F.col("_f")))
-    return exploded.select(F.col(key), "pos", codec.canonical(F.col("_f")).alias("kmer"))
+    plain = spread(df.select(F.col(key), codec.normalise(F.col(seq)).alias("_s"))).where(F.length("_s") >= k)
+    begins = plain.select(F.col(key), "_s", F.explode(F.sequence(F.lit(0), F.length("_s") - k, F.lit(STRETCH))).alias("_b"))
+    parts = begins.select(F.col(key), "_b", F.substring(F.col("_s"), F.col("_b") + 1, F.lit(STRETCH + k - 1)).alias("_p"))
+    windows = F.transform(F.sequence(F.lit(0), F.length("_p") - k), lambda i: F.substring(F.col("_p"), i + 1, F.lit(k)))
+    exploded = parts.select(F.col(key), "_b", F.posexplode(windows).alias("_i", "_f")).where(codec.is_clean(F.col("_f")))
+    return exploded.select(F.col(key), (F.col("_b") + F.col("_i")).alias("pos"), codec.canonical(F.col("_f")).alias("kmer"))
 
 
 def vector_positions(spark: SparkSession, k: int, canonical_only: bool = True) -> DataFrame:
@@ -68,8 +77,15 @@ def _indexed(codes: np.ndarray):
     return pd.DataFrame({"pos": np.arange(len(codes), dtype=np.int32), "code": codes})
 
 
+#: Largest k with a table of all k-mers; beyond it only those that occur can be listed.
+WIDEST_K = 12
+
+
 def position_codes(k: int, canonical_only: bool = True) -> np.ndarray:
     """Codes of the positions of a composition vector."""
+    check_k(k)
+    if k > WIDEST_K:
+        raise ValueError(f"a table of all k-mers needs k <= {WIDEST_K}; count k-mers in long form instead")
     codes = np.arange(4**k, dtype=np.int64)
     return codes[codes <= reverse_codes(codes, k)] if canonical_only else codes
 

@@ -19,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import codec
 from ..kernels import AMBIGUOUS, check_k, codes, encode, sliding_min, stretches, text_of, window_starts
-from .kmers import kind_of, scan
+from .kmers import kind_of, kmer_windows, scan
 
 
 @dataclass
@@ -184,13 +183,10 @@ def minimiser_spans_sql(df: DataFrame, w: int, m: int, key: str = "n", seq: str
     from pyspark.sql.window import Window
 
     check(w, m)
-    plain = df.select(F.col(key), codec.normalise(F.col(seq)).alias("_s")).where(F.length("_s") >= w)
-    places = plain.select(key, F.explode(F.sequence(F.lit(0), F.length("_s") - m)).alias("pos"), "_s")
-    word = F.substring(F.col("_s"), F.col("pos") + 1, F.lit(m))
-    words = places.select(key, "pos", F.when(codec.is_clean(word), codec.canonical(word)).alias("c"))
     by_place = Window.partitionBy(key).orderBy("pos")
-    frame = by_place.rowsBetween(0, w - m)
-    best = words.select(key, "pos", F.min("c").over(frame).alias("v"), F.count("c").over(frame).alias("_n")).where(F.col("_n") == w - m + 1)
+    frame = by_place.rangeBetween(0, w - m)  # of the places whose m-mer is unambiguous
+    words = kmer_windows(df, m, key, seq)
+    best = words.select(key, "pos", F.min("kmer").over(frame).alias("v"), F.count("*").over(frame).alias("_n")).where(F.col("_n") == w - m + 1)
     new = ~(F.lag("pos").over(by_place).eqNullSafe(F.col("pos") - 1) & F.lag("v").over(by_place).eqNullSafe(F.col("v")))
     runs = best.select(key, "pos", "v", new.cast("int").alias("_new")).withColumn("_run", F.sum("_new").over(by_place))
     out = runs.groupBy(key, "_run").agg(F.min("v").alias("minimiser"), F.min("pos").cast("int").alias("span_start"), (F.max("pos") + w).cast("int").alias("span_end"))

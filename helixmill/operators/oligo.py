@@ -9,12 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..kernels import check_k, kmers, stretches
+from ..kernels import kmers, stretches
 from .kmers import header, kind_of, position_codes, scan
 
 #: Cells of a vector matrix in the making.
 CELLS = 1 << 22
-WIDEST_K = 12
 
 
 def composition(texts: pa.Array, k: int, canonical_only: bool = True) -> np.ndarray:
@@ -43,9 +42,6 @@ def oligo_vectors(df: DataFrame, k: int = 3, norm: bool = True, canonical_only:
     With ``norm`` the vector is divided by its sum, or by ``denominator`` times its sum: 2 gives the halved forward
     vectors of the older object interface.
     """
-    check_k(k)
-    if k > WIDEST_K:
-        raise ValueError(f"a dense vector needs k <= {WIDEST_K}; count k-mers in long form instead")
     width = len(position_codes(k, canonical_only))
     step = max(1, CELLS // width)
 

@@ -27,6 +27,12 @@ def kmer_windows_k4(spark: SparkSession, folder: str) -> DataFrame:
     return kmers.kmer_windows(_seqs(spark, folder), 4)
 
 
+def kmer_table_k6(spark: SparkSession, folder: str) -> DataFrame:
+    codec.register(spark)
+    _seqs(spark, folder).createOrReplaceTempView("helixmill_sequences")
+    return spark.sql("select n, pos, kmer from helixmill_sequences, lateral kmer_table(seq, 6)")
+
+
 def kmer_codec(spark: SparkSession, folder: str) -> DataFrame:
     codes = table(spark, folder, "kmer_counts").select("kmer").where("kmer is not null").distinct()
     text = codes.select("kmer", codec.decode(F.col("kmer"), 11).alias("acgt"))
@@ -141,7 +147,7 @@ def kmer_cgr_k4(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     plain = (
-        seq_stats, kmer_pairs_k3, kmer_windows_k4, kmer_codec, kmer_codec_sql, kmer_count_k5, kmer_count_k15, kmer_count_k31_acgt, count_merge,
+        seq_stats, kmer_pairs_k3, kmer_windows_k4, kmer_table_k6, kmer_codec, kmer_codec_sql, kmer_count_k5, kmer_count_k15, kmer_count_k31_acgt, count_merge,
         count_merge_acgt, dim_k4, dim_k3_forward, coverage_hist_k15, coverage_hist_k7_norm, coverage_hist_k15_alt, coverage_hist_k11_counts,
         minimisers_w31_m7, minimisers_w31_m7_compat, minimisers_w20_m10_builtin, minimiser_per_read, min_s2m, min_m2s, kmer_minimiser_w15_m7,
         cgr_path, kmer_cgr_k4,
@@ -223,6 +229,7 @@ def oracle_sql() -> dict[str, str]:
         "seq_stats": "select count(*) as seq_count, cast(sum(length(seq)) as bigint) as total_length from sequences",
         "kmer_pairs_k3": f"with {_windows(3)} select n, pos, {_code('f')} as fwd, {_code(_reverse('f'))} as rev from k",
         "kmer_windows_k4": f"with {_windows(4)} select n, pos, c as kmer from k",
+        "kmer_table_k6": f"with {_windows(6)} select n, pos, c as kmer from k",
         "kmer_codec": f"""with t as (select distinct kmer, {text_of} as acgt from kmer_counts where kmer is not null)
             select kmer, acgt, {_code('acgt')} as fwd, {_code(_reverse('acgt'))} as rev, least(acgt, {_reverse('acgt')}) as canonical, kmer % 4 as part_no from t""",
         "kmer_codec_sql": f"""with t as (select distinct kmer, {text_of} as acgt from kmer_counts where kmer is not null)

@@ -103,6 +103,10 @@ def test_codec(spark):
     assert all(code(r["t"]) == r["id"] and r["r"] == code(revcomp(r["t"])) for r in back.collect())
     codec.register(spark)
     assert spark.sql("select kmer_canonical('TTTAC'), kmer_encode('ACGTT'), kmer_decode(27L, 5), size(kmer_windows('AC', 3))").first()[:] == ("GTAAA", 111, "AACGT", 0)
+    lateral = spark.sql("SELECT s, pos, kmer FROM VALUES ('ACNguu'), ('A'), (null) v(s), LATERAL kmer_table(s, 2)").collect()
+    assert sorted(tuple(r) for r in lateral) == [("ACNguu", 0, "AC"), ("ACNguu", 3, "AC"), ("ACNguu", 4, "AA")]
+    with pytest.raises(ValueError):
+        kmers.position_codes(13)
 
 
 def test_pairs(spark):
