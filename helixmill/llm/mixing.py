@@ -75,21 +75,17 @@ def plan_copies(tokens: dict[str, int], shares: dict[str, float], repeats: dict[
     return {s: min(float(repeats[s]), size * shares[s] / tokens[s]) for s in live}
 
 
-def _round(rows: pd.DataFrame, key: list[int], last: bool) -> pd.DataFrame:
-    """Decides all rows of one source but at most one; with ``last`` that one is drawn by its fraction."""
-    pivot = Pivot(key)
-    extra = np.full(len(rows), -1, np.int64)
-    for i, (w, q) in enumerate(zip(rows["n_tokens"].tolist(), rows["fraction"].tolist(), strict=True)):
-        for j, x in pivot.add(i, float(w), q):
+def _settle(rows: pd.DataFrame, pivot: Pivot) -> pd.DataFrame:
+    """Decides all rows of one source but at most one, which keeps a fraction; the fractions of the others become null."""
+    pivot.open = None
+    extra = np.zeros(len(rows), np.int64)
+    for i, (weight, share) in enumerate(zip(rows["n_tokens"].tolist(), rows["fraction"].tolist(), strict=True)):
+        for j, x in pivot.add(i, float(weight), share):
             extra[j] = x
     fraction = np.full(len(rows), np.nan)
     if pivot.open is not None:
-        i, _, q = pivot.open
-        if last:
-            extra[i] = int(pivot.rng.random() < q)
-        else:
-            fraction[i] = q
-    return rows.assign(copies=rows["copies"] + np.maximum(extra, 0), fraction=fraction)
+        fraction[pivot.open[0]] = pivot.open[2]
+    return rows.assign(copies=rows["copies"] + extra, fraction=fraction)
 
 
 def _node(seed: int, rank: dict[str, int], depth: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -98,7 +94,13 @@ def _node(seed: int, rank: dict[str, int], depth: int, last: bool) -> Callable[[
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         node = int(rows["node"].iloc[0]) // FAN_IN
         rows = rows.sort_values(["n_tokens", "node"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        return _round(rows, [seed, rank[rows["source"].iloc[0]], depth, node], last).assign(node=node)
+        pivot = Pivot([seed, rank[rows["source"].iloc[0]], depth, node])
+        rows = _settle(rows, pivot).assign(node=node)
+        if last and pivot.open is not None:  # nobody is left to pair with
+            i, _, share = pivot.open
+            rows.loc[i, "copies"] += int(pivot.rng.random() < share)
+            rows.loc[i, "fraction"] = np.nan
+        return rows
 
     return join
 
@@ -108,8 +110,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text:
 
     Mix: ``key``, source, n_tokens, copies, one row for each document that is used at least once; copies is at most the
     source's max_repeats. Report: source, target_share, max_repeats, n_docs, tokens_available, tokens_used, actual_share,
-    one row for each target. Spellings of sources are made one first. Documents of no target, or with a null source, and
-    those without tokens are not used; a target without tokens is reported with 0. Without documents the mix is empty.
+    one row for each target. Spellings of sources are made one first. Documents of no target, with a null source or
+    key, and those without tokens are not used; a target without tokens is reported with 0. Without documents the mix is empty.
     A null share or cap counts as 0; of targets repeated under one name the shares add up and the larger cap holds.
 
     Texts are read once. Sizes go to the shared folder, then one pass decides all but a document a source and partition.
@@ -125,13 +127,14 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text:
         repeats[r["s"]] = max(repeats.get(r["s"], 0), int(r["max_repeats"] or 0))
     names = sorted(shares)
     named = docs.select(F.col(key), source_name(F.col(source)).alias("_source"), F.col(text).alias("_text"))
-    counted = count_tokens(named.where(F.col("_source").isin(names)), [key, "_source"], "_text", path=path)
+    counted = count_tokens(named.where(F.col(key).isNotNull() & F.col("_source").isin(names)), [key, "_source"], "_text", path=path)
     sizes = materialise(counted.select(F.col(key).alias("_key"), F.col("_source").alias("source"), "n_tokens"), "sizes")
     sums = {r["source"]: (r["n"], r["t"]) for r in sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}
     copies = plan_copies({s: t for s, (_, t) in sums.items()}, shares, repeats, total)
     rank = {s: i for i, s in enumerate(names)}
 
     kind = docs.schema[key].dataType.simpleString()
+    columns = ["_key", "source", "n_tokens", "copies", "fraction", "node"]
     schema = f"_key {kind}, source string, n_tokens bigint, copies bigint, fraction double, node bigint"
 
     def leaf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,25 +145,18 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text:
             for name, rows in batch.groupby("source", sort=True):
                 expected = copies.get(name, 0.0)
                 base = math.floor(expected + _CLOSE)
-                rest = max(0.0, expected - base)
-                rows = rows.sort_values("n_tokens", ascending=False, kind="stable").assign(copies=base, fraction=rest)  # a small one is left
+                some = rows["n_tokens"] > 0
+                rows = rows.assign(copies=np.where(some, base, 0), fraction=np.where(some, max(0.0, expected - base), 0.0), node=node)
+                rows = rows.sort_values("n_tokens", ascending=False, kind="stable")  # a small one is left
                 if name in held:
                     rows = pd.concat([held.pop(name), rows])
-                rows = rows.reset_index(drop=True)
-                pivot = pivots.setdefault(name, Pivot([seed, rank[name], 0, node]))
-                pivot.open = None  # the row held from the last batch is the first of this one
-                extra = np.full(len(rows), -1, np.int64)
-                for i, (w, q) in enumerate(zip(rows["n_tokens"].tolist(), rows["fraction"].tolist(), strict=True)):
-                    for j, x in pivot.add(i, float(w), q) if w > 0 else [(i, 0)]:
-                        extra[j] = x
-                rows = rows.assign(copies=np.where(rows["n_tokens"] > 0, rows["copies"] + np.maximum(extra, 0), 0), fraction=np.nan, node=node)
-                if pivot.open is not None:
-                    i, _, q = pivot.open
-                    held[name] = rows.iloc[[i]].assign(fraction=q)
-                    rows = rows.drop(index=i)
-                yield rows[["_key", "source", "n_tokens", "copies", "fraction", "node"]]
+                rows = _settle(rows.reset_index(drop=True), pivots.setdefault(name, Pivot([seed, rank[name], 0, node])))
+                left = rows["fraction"].notna()
+                if left.any():
+                    held[name] = rows[left]
+                yield rows.loc[~left, columns]
         for rows in held.values():
-            yield rows[["_key", "source", "n_tokens", "copies", "fraction", "node"]]
+            yield rows[columns]
 
     level = materialise(sizes.mapInPandas(leaf, schema), "leaf")
     nodes = max(1, sizes.rdd.getNumPartitions())

@@ -41,13 +41,13 @@ def test_plan():
 def test_mix(spark, monkeypatch):
     monkeypatch.setattr(mixing, "FAN_IN", 2)
     rows = [(i, " word" * (1 + i % 7), ["big ", "BIG", "small-one", "other", None][min(i % 9, 4)] if i % 9 < 4 else "big") for i in range(900)]
-    rows += [(1000, None, "big"), (1001, "", "small_one"), (1002, "x", None)]
+    rows += [(1000, None, "big"), (1001, "", "small_one"), (1002, "x", None), (None, "x", "big")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7, "doc_id")
     targets = spark.createDataFrame([("Big", 0.6, 1), ("small_one", 0.4, 2), ("gone", 0.0, 3), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
     mix, report = mixing.mix_sources(docs, targets)
     got = {r["doc_id"]: r for r in mix.collect()}
     assert all(r["copies"] <= (1 if r["source"] == "big" else 2) for r in got.values())
-    assert {r["source"] for r in got.values()} == {"big", "small_one"} and not {1000, 1001, 1002} & set(got)
+    assert {r["source"] for r in got.values()} == {"big", "small_one"} and not {1000, 1001, 1002, None} & set(got)
     lines = {r["source"]: r for r in report.collect()}
     assert set(lines) == {"big", "small_one", "gone"} and lines["gone"]["tokens_used"] == 0
     assert lines["big"]["actual_share"] == pytest.approx(0.6, abs=0.02) and lines["small_one"]["tokens_used"] == 2 * lines["small_one"]["tokens_available"]
