@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import cgr, counter, coverage, minimisers, oligo
 from .operators.kmers import header
+from .session import ship
 from .sources import fastx, tables
 
 
@@ -81,6 +82,7 @@ def _input(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run(args: argparse.Namespace, spark: SparkSession) -> None:
+    ship(spark)
     rows = _input(spark, args.input)
     if args.command == "comp" and args.kind == "oligo":
         forward, norm = args.raw_count, not args.counts

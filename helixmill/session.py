@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,22 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of the session, once, so that they find it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_helixmill_shipped", False):
+        return
+    package = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="helixmill-")
+    atexit.register(_remove_local, folder)
+    packed = f"{folder}/helixmill-{uuid.uuid4().hex[:12]}.zip"
+    with zipfile.ZipFile(packed, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, f"{package.name}/{file.relative_to(package)}")
+    context.addPyFile(packed)
+    context._helixmill_shipped = True
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back, which cuts its lineage.
 
