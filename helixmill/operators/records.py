@@ -6,8 +6,8 @@ The grammar is read by recursive descent::
     field  := '"' (any but '"' | '""')* '"'  |  (any but '"' and ",")*
 
 An error in a record never stops the reader. In a text of many records it goes on at the next anchor: a line break after
-which a record starts that can be read and is valid; so a quote that never closes costs the records it swallowed at most
-until the next valid one.
+which a record starts that can be read and is valid; so a quote that never closes costs no valid record, and each failing
+record that stands between is reported with its own reason.
 """
 
 from __future__ import annotations
@@ -134,14 +134,16 @@ def read_line(raw: str | None) -> tuple[int | None, str | None, str | None, str
     return (int(digits) if len(digits) < 19 or len(digits) == 19 and int(digits) <= _LARGEST else None), name, seq, None, None, None
 
 
+_BREAK = re.compile(r"[\r\n]")
 _ANCHOR = re.compile(r"[\r\n]+(?=\"?[0-9]+\"?,)")
 
 
-def read_text(text: str) -> Iterator[tuple[int, int | None, str | None, str | None, str | None, int | None, str | None]]:
+def read_text(text: str, base: int = 0, skipped: bool = False) -> Iterator[tuple[int, int | None, str | None, str | None, str | None, int | None, str | None]]:
     """Records of a text of many lines: (place of the record, n, id, seq, reason, place of the fault, detail).
 
     After a record of the wrong shape or value the reader goes on behind the record's end; after broken quoting, whose end
-    isn't known, at the next anchor where a valid record starts, or else at the next line.
+    isn't known, at the next anchor where a valid record starts, or else at the text's end. The lines skipped by that are
+    read as a text of their own (``skipped``; ``base`` is its place), which goes on at the next line after broken quoting.
     """
     reader = Reader(text, "\r\n")
     while reader.at < len(text):
@@ -151,12 +153,15 @@ def read_text(text: str) -> Iterator[tuple[int, int | None, str | None, str | No
         begin = reader.at
         try:
             n, name, seq = typed(*reader.record())
-            yield begin, *read_line(text[begin : reader.at])[:3], None, None, None
+            yield base + begin, *read_line(text[begin : reader.at])[:3], None, None, None
         except Fault as f:
             at = f.at if f.reason == "quoting" else f.at or begin
-            yield begin, None, None, None, f.reason, at, f.detail
+            yield base + begin, None, None, None, f.reason, base + at, f.detail
             if f.reason == "quoting":
-                reader.at = _resume(text, begin)
+                line = _BREAK.search(text, begin)
+                line = line.end() if line else len(text)
+                reader.at = line if skipped else _resume(text, begin)
+                yield from read_text(text[line : reader.at], base + line, True)
 
 
 def _resume(text: str, begin: int) -> int:
@@ -168,8 +173,7 @@ def _resume(text: str, begin: int) -> int:
             return anchor.end()
         except Fault:
             continue
-    line = re.compile(r"[\r\n]").search(text, begin)
-    return line.end() if line else len(text)
+    return len(text)
 
 
 def parse_records(df: DataFrame, key: str = "line_no", raw: str = "raw") -> DataFrame:

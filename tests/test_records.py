@@ -76,6 +76,13 @@ def test_text_goes_on_after_faults():
     assert [text[r[0]] for r in rows] == list("01234") + ["5", "r"]
 
 
+def test_lines_between_a_broken_quote_and_the_next_valid_record():
+    text = '1,"a,AC,2\n2,b,AC\n3,c,AC,9\nx,d,AC,2\n4,"e\nf",AC,2\n5,"g\n6,h,AC,2\n7,"i'
+    rows = [(text[r[0]], r[1], r[4]) for r in read_text(text)]
+    assert rows == [("1", None, "quoting"), ("2", None, "columns"), ("3", None, "length"), ("x", None, "number"), ("4", None, "id"), ("5", None, "quoting"), ("6", 6, None), ("7", None, "quoting")]
+    assert [r[5] for r in read_text(text)] == [38, 10, 24, 26, 37, 50, None, 64]
+
+
 def test_frames(spark):
     rows = [(i, raw, "x") for i, (raw, _) in enumerate(CASES)] + [(0, "0,a,ACGT,4", "x")]
     df = spark.createDataFrame(rows, "line_no long, raw string, reason string")
