@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialise
+
 #: Rows of a chunk.
 CHUNK_ROWS = 50_000
 
@@ -21,11 +23,14 @@ CHUNK_ROWS = 50_000
 def chunked(df: DataFrame, key: str, keep: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Columns _key, the columns ``keep``, _number (from 0 within the key, in input order) and _chunk.
 
-    Rows without a key are left out. Rows are shuffled once, by input partition and key, so a task never holds more of a
+    Rows without a key are left out. Partition and place of every row are written down once, with the row: counts and rows
+    come from that table, so they agree whatever stands before it (an exchange may cut its partitions otherwise each time
+    it is planned or run again). Rows are then shuffled once, by input partition and key, so a task never holds more of a
     key than an input partition does.
     """
-    rows = df.select(F.col(key).alias("_key"), *[F.col(c) for c in keep], F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")).where("_key is not null")
-    counts = df.select(F.col(key).alias("_key"), F.spark_partition_id().alias("_part")).where("_key is not null").groupBy("_part", "_key").agg(F.count("*").alias("_rows"))
+    tagged = df.select(F.col(key).alias("_key"), *[F.col(c) for c in keep], F.monotonically_increasing_id().alias("_at")).where("_key is not null")
+    rows = materialise(tagged, "tagged").withColumn("_part", F.shiftright("_at", 33).cast("int"))  # the upper bits of _at
+    counts = rows.groupBy("_part", "_key").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", "_key", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     local = Window.partitionBy("_part", "_key").orderBy("_at")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from helixmill.operators.skew import Measures, chunked, heavy_keys, per_key
@@ -49,3 +50,22 @@ def test_heavy(spark):
 def test_clashing_names(spark):
     df = frame(spark).select("k", F.lit(1).alias("_key"), F.lit(2).alias("_part"), F.lit(3).alias("n_rows"))
     assert {r["key_value"] for r in per_key(df, "k").collect()} == {1, 2, 3, 7}
+
+
+@pytest.mark.parametrize("size", ["1KB", "64MB"])
+def test_behind_an_exchange(spark, size):
+    """No row is lost where AQE cuts the partitions of an exchange anew: repartitioned, joined and aggregated input."""
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        base = spark.range(6000).select((F.col("id") % 2000).alias("g"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 11).cast("int").alias("k"), F.repeat(F.lit("x"), 50).alias("wide"), F.col("id").alias("v"))
+        other = spark.range(2000).select(F.col("id").alias("g"), (F.col("id") * 2).alias("w"))
+        for df in (base.repartition("g"), base.join(other.hint("shuffle_hash"), "g"), base.groupBy("g", "k").agg(F.max("v").alias("v"))):
+            got = {r["key_value"]: r for r in per_key(df, "k", Measures(sums={"total": F.col("v")}), 50).collect()}
+            want = {r["k"]: r for r in df.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("t")).collect()}
+            assert {k: (r["n_rows"], r["total"]) for k, r in got.items()} == {k: (r["n"], r["t"]) for k, r in want.items()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
