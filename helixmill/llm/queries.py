@@ -112,6 +112,13 @@ def oracle_sql() -> dict[str, str]:
             r as (select a, b, c, row_number() over (partition by a order by c desc, b) as r from s)
             select distinct least(a, b) as n_a, greatest(a, b) as n_b from r where r <= 10 and c >= 0.97""",
         "p3_found": _SETS + "select n_a, n_b from j",
+        "p3_groups": _SETS.replace("with s as", "with recursive s as", 1).rstrip() + """,
+            e as (select n_a as a, n_b as b from j union all select n_b, n_a from j),
+            reach as (select n as a, n as b from z union select reach.a, e.b from reach join e on e.a = reach.b),
+            g as (select a as n, min(b) as group_n from reach group by a),
+            c as (select n, min(n) over (partition by fs) as class_n from (select n, list(f order by f) as fs from k group by n)),
+            l as (select a as n, count(*) as n_links from e group by a)
+            select n, group_n, class_n, coalesce(n_links, 0) as n_links from g join c using (n) left join l using (n)""",
         "p4_found": _UNITS + """,
             c as (select n, bin_count as b from (select *, row_number() over (partition by n order by computed_at desc) as r from coverage_vectors
               where bin_count is not null and list_sum(bin_count) > 0) where r = 1),
