@@ -27,6 +27,13 @@ def matrix(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return fit[ok], values[ok]
 
 
+def stack(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Matrix of a list column whose lists are of one length."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def unit(values: np.ndarray) -> np.ndarray:
     """Vectors scaled to length 1."""
     values = values / np.abs(values).max(1, keepdims=True)
@@ -38,6 +45,31 @@ def rows_of(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, max(width, 1), dtype=np.int32)[: n + 1]), pa.array(np.ascontiguousarray(values).ravel()))
 
 
+def packed(values: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values, which Spark moves as they are instead of number by number."""
+    n = len(values)
+    size = values.shape[1] * values.itemsize
+    offsets = pa.py_buffer(np.arange(0, (n + 1) * size, max(size, 1), dtype=np.int32)[: n + 1] if size else np.zeros(n + 1, np.int32))
+    return pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(column: pa.ChunkedArray | pa.Array, width: int, kind: type = np.float64) -> np.ndarray:
+    """Matrix of what ``packed`` gives."""
+    return flat(column, kind)[0].reshape(len(column), width)
+
+
+def flat(column: pa.ChunkedArray | pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of binary values in a row, and the n + 1 bounds of the values."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data.tobytes() if data.ctypes.data % size else data, kind), (offsets - offsets[0]) // size
+
+
 def usable(df: DataFrame, key: str, vectors: dict[str, int]) -> DataFrame:
     """Columns n, digest and each of ``vectors`` (name: width) of the rows in which all of them can be used."""
 
