@@ -42,7 +42,7 @@ class CgrComputer:
 
     def vectorise_batch(self, seqs: list[str]) -> list[list[tuple[float, float]]]:
         for seq in seqs:
-            if seq.translate(cgr._BASES):
+            if seq.translate(cgr.BASES):
                 raise ValueError("bad base in a sequence")
         code, bounds = codes(pa.array(seqs, pa.string()))
         x, y = cgr.walks(code, bounds, self.vecsize)

@@ -5,14 +5,13 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import cgr, counter, coverage, minimisers, oligo
 from .operators.kmers import header
-from .session import ship
+from .session import materialise, ship
 from .sources import fastx, tables
 
 
@@ -97,12 +96,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
     elif args.command == "cov":
         tables.make_folder(args.output)
         counts = counter.kmer_counts(_input(spark, args.alt_input) if args.alt_input else rows, args.k_size)
-        with tempfile.TemporaryDirectory(dir=args.output) as folder:
-            tables.write_counts(counts, f"{folder}/counts")
-            counts = tables.read_counts(spark, f"{folder}/counts")
-            tables.write_file(tables.count_lines(counts), f"{args.output}/kmers.counts")
-            bins = coverage.coverage_histograms(rows, args.k_size, args.bin_size, args.bin_count, not args.counts, counts)
-            tables.write_file(tables.vector_lines(bins, "bin_count", not args.counts, args.preset), f"{args.output}/kmers.vectors")
+        counts = materialise(counts, "counts")
+        tables.write_file(tables.count_lines(counts), f"{args.output}/kmers.counts")
+        bins = coverage.coverage_histograms(rows, args.k_size, args.bin_size, args.bin_count, not args.counts, counts)
+        tables.write_file(tables.vector_lines(bins, "bin_count", not args.counts, args.preset), f"{args.output}/kmers.vectors")
     elif args.command == "min":
         if args.preset == "s2m":
             lists = minimisers.sequences_to_minimisers(rows, args.w_size, args.m_size, compat=True)

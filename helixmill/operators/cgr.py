@@ -14,13 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..kernels import check_k, codes
+from ..kernels import AMBIGUOUS, check_k, codes
 from .kmers import header, kind_of, position_codes, scan
 from .oligo import CELLS, vectors
 
 #: Bases of a lane of a long walk, and bases that a lane runs ahead of its start.
 LANE = 8192
 AHEAD = 128
+#: Bases that are walked at a time; a batch with more comes out in parts.
+LETTERS = 1 << 22
+#: Letters with a corner (a table for ``str.translate`` that takes them away).
+BASES = dict.fromkeys(map(ord, "ACGTUacgtu"))
 _X = np.array([0, 0, 1, 1], float)
 _Y = np.array([0, 1, 1, 0], float)
 
@@ -86,26 +90,33 @@ def cgr_paths(df: DataFrame, size: float = 1.0, mode: str = "FAILFAST", key: str
     """
     if mode not in ("FAILFAST", "PERMISSIVE"):
         raise ValueError("mode must be FAILFAST or PERMISSIVE")
-    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 
     def rows_of(keys: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-        errors = []
-        for t in texts.to_pylist():
-            bad = next((c for c in (t or "").translate(_BASES) if c), None)
-            errors.append(None if bad is None else f"bad base {bad!r}")
-            if bad is not None and mode == "FAILFAST":
-                raise ValueError(errors[-1])
-        fine = pa.array([e is None for e in errors])
-        code, bounds = codes(pa.compute.if_else(fine, texts, ""))
-        x, y = walks(code, bounds, size)
-        offsets = pa.array(bounds.astype(np.int32), mask=np.append(~np.array([e is None for e in errors], bool), False))
-        points = pa.StructArray.from_arrays([pa.array(x), pa.array(y)], fields=list(point))
-        yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, points), pa.array(errors, pa.string())], names=[key, "path", "error"])
+        code, bounds = codes(texts)
+        step = max(1, int(np.searchsorted(bounds, LETTERS, "right")) - 1) if len(code) > LETTERS else max(1, len(keys))
+        for a in range(0, len(keys), step):
+            yield _paths(keys.slice(a, step), texts.slice(a, step), size, mode, key)
 
     return scan(df, key, seq, rows_of, f"`{key}` {kind_of(df, key)}, path array<struct<x: double, y: double>>, error string")
 
 
-_BASES = dict.fromkeys(map(ord, "ACGTUacgtu"))
+def _paths(keys: pa.Array, texts: pa.Array, size: float, mode: str, key: str) -> pa.RecordBatch:
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+    code, bounds = codes(pa.compute.replace_substring_regex(texts, "[\\x00-\\x03]", "N"))  # no bases here
+    bad = np.flatnonzero(code == AMBIGUOUS)
+    row, first = np.unique(np.searchsorted(bounds, bad, "right") - 1, return_index=True)
+    errors = np.full(len(texts), None, object)
+    for i, place in zip(row.tolist(), (bad[first] - bounds[row]).tolist(), strict=True):  # rows with an error only
+        errors[i] = f"bad base {texts[i].as_py()[place]!r}"
+    if len(row):
+        if mode == "FAILFAST":
+            raise ValueError(errors[row[0]])
+        code, bounds = codes(pa.compute.if_else(pa.array(np.isin(np.arange(len(texts)), row, invert=True)), texts, ""))
+    x, y = walks(code, bounds, size)
+    failed = np.zeros(len(texts) + 1, bool)
+    failed[row] = True
+    points = pa.StructArray.from_arrays([pa.array(x), pa.array(y)], fields=list(point))
+    return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32), mask=failed), points), pa.array(errors, pa.string())], names=[key, "path", "error"])
 
 
 def kmer_points(k: int, size: float) -> tuple[np.ndarray, np.ndarray]:

@@ -36,12 +36,17 @@ def coverage_histograms(df: DataFrame, k: int = 15, bin_size: int = 16, bin_coun
     that isn't counted has 0; the last bin is open-ended; with ``norm`` a histogram is divided by its sum. There is one row
     for each key, all zero where there is no k-mer; rows that share a key add up; rows without a key are left out.
 
-    k-mers are counted within each sequence before the join, which is on the k-mer: of the three exchanges only this one
-    carries k-mers twice. Spark broadcasts the counts itself where they are small enough.
+    k-mers are counted within each sequence and exchanged by k-mer. Where the frequencies are those of ``df`` itself, they
+    are added up over the same exchange, so texts are cut once and k-mers move once; a k-mer of many sequences is a stream of
+    narrow rows there, never a group in memory. Else the counts are joined, broadcast by Spark itself where they are small.
     """
     rows = df.where(F.col(key).isNotNull())
-    counts = counts if counts is not None else kmer_counts(alt if alt is not None else rows, k, seq)
-    mine = sequence_kmers(rows, k, key, seq).join(counts.select("kmer", "count"), "kmer", "left")
+    mine = sequence_kmers(rows, k, key, seq)
+    if counts is None and alt is None:
+        mine = mine.repartition("kmer")
+        counts = mine.groupBy("kmer").agg(F.sum("times").alias("count"))
+    counts = counts if counts is not None else kmer_counts(alt, k, seq)
+    mine = mine.join(counts.select("kmer", "count"), "kmer", "left")
     binned = mine.select(key, "times", codec.bucket(F.col("count"), bin_size, bin_count).alias("_bin"))
     every = binned.unionByName(rows.select(key, F.lit(0).cast("bigint").alias("times"), F.lit(0).alias("_bin")))
     bins = [F.sum(F.when(F.col("_bin") == i, F.col("times")).otherwise(F.lit(0))).cast("double") for i in range(bin_count)]

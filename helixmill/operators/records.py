@@ -165,11 +165,11 @@ def read_text(text: str, base: int = 0, skipped: bool = False) -> Iterator[tuple
 
 
 def _resume(text: str, begin: int) -> int:
+    """Next anchor with a valid record. A valid record never holds a line break, so a probe ends with its line."""
     for anchor in _ANCHOR.finditer(text, begin):
-        probe = Reader(text, "\r\n")
-        probe.at = anchor.end()
+        line = _BREAK.search(text, anchor.end())
         try:
-            typed(*probe.record())
+            typed(*Reader(text[anchor.end() : line.start() if line else len(text)]).record())
             return anchor.end()
         except Fault:
             continue

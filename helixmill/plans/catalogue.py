@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general, sequences
+from . import files, general, sequences
 
-_MODULES = (general, sequences)
+_MODULES = (general, sequences, files)
 
 
 def queries() -> dict:

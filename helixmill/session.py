@@ -1,4 +1,4 @@
-"""Session helpers: where intermediate tables go, and size checks before a broadcast."""
+"""Session helpers: where intermediate tables go, how the package reaches the workers, how scans are dealt out."""
 
 from __future__ import annotations
 
@@ -9,11 +9,6 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows above which a table is never broadcast by this library.
-BROADCAST_ROWS = 200_000
-
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder shared by all executors for intermediate tables.
@@ -57,6 +52,13 @@ def ship(spark: SparkSession) -> None:
     context._helixmill_shipped = True
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new place in the shared folder; what is written there goes when the driver's Python ends."""
+    path = f"{checkpoint_root(spark)}/helixmill/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back, which cuts its lineage.
 
@@ -64,9 +66,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     ends, since results that are still lazy may read it until then.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/helixmill/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, tag)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,29 +80,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hints a broadcast of ``df`` where its counted number of rows is within ``limit``; else leaves it to be shuffled."""
-    return F.broadcast(df) if rows <= limit else df
-
-
-def tasks(spark: SparkSession) -> int:
-    """Number of shuffle partitions that the session asks for."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+#: Session setting: number of tasks that scans are dealt out to before Python works on them.
+TASKS = "spark.helixmill.scanTasks"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals a small table out to all cores where its few files would leave most of them idle.
+    """Deals rows out to as many tasks as ``spark.helixmill.scanTasks`` says; where it is unset, scans stay as they are.
 
-    Only a table in fewer files than cores, and by Spark's own estimate smaller than one input partition, is moved (so the
-    exchange is bounded by that size); anything else, streams included, is left as it is scanned. Rows lose their order.
+    For tables in fewer files than the session has cores (as in a benchmark on one machine). Rows lose their order.
     """
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    if 0 < files < cores and int(str(size)) < most:
-        return df.repartition(cores)
-    return df
+    tasks = df.sparkSession.conf.get(TASKS, None)
+    return df if tasks is None or df.isStreaming else df.repartition(int(tasks))

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import gzip
 import io
-import os
+import re
 import sys
 from collections.abc import Iterable, Iterator
-from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window
 
 SCHEMA = "n bigint, id string, seq string, file string, error string"
 _ARROW = pa.schema([("n", pa.int64()), ("id", pa.string()), ("seq", pa.string()), ("file", pa.string()), ("error", pa.string())])
 _FASTA, _FASTQ = (".fasta", ".fa", ".fna"), (".fastq", ".fq")
 #: Characters of sequence in a batch.
 BATCH = 1 << 22
+#: Bytes of a plain file that one task reads (option ``splitBytes``).
+SPLIT = 64 << 20
+#: Bits of n that count the records of one task; the bits above number the tasks.
+PLACE_BITS = 33
 
 
 class MalformedRecord(ValueError):
@@ -33,6 +38,13 @@ def format_of(path: str) -> str | None:
     return "fastq" if path.endswith(_FASTQ) else "fasta" if path.endswith(_FASTA) else None
 
 
+def format_column(path: Column) -> Column:
+    """``format_of`` for a column of file names."""
+    name = F.regexp_replace(path, r"(\.gz)+$", "")
+    ends = lambda endings: name.rlike("(" + "|".join(endings).replace(".", r"\.") + ")$")
+    return F.when(ends(_FASTQ), "fastq").when(ends(_FASTA), "fasta")
+
+
 def sniff(start: str) -> str | None:
     """Format by the first character: ``>`` means FASTA, anything else FASTQ; None for an empty text."""
     return None if not start else "fasta" if start[0] == ">" else "fastq"
@@ -99,25 +111,95 @@ def read_records(lines: Iterable[str], form: str) -> Iterator[tuple[str | None,
     return read_fasta(lines) if form == "fasta" else read_fastq(lines)
 
 
-def open_text(path: str) -> io.TextIOBase:
-    """Opens a file for reading; all members of a ``.gz`` file are read."""
-    return gzip.open(path, "rt", encoding="utf-8", errors="replace") if path.endswith(".gz") else open(path, encoding="utf-8", errors="replace")
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """Storage that a path is on, and its place there: local, or whatever Arrow can reach (s3a, hdfs, gs, abfs and more)."""
+    scheme, found, rest = path.partition(":")
+    if not found or len(scheme) == 1 or "/" in scheme:
+        return pafs.LocalFileSystem(), path
+    if scheme == "file":
+        return pafs.LocalFileSystem(), re.sub("^/+", "/", rest)
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
+
 
+def files_of(path: str, known: bool = False) -> list[tuple[str, int]]:
+    """Files that a path, folder or pattern names, with their sizes, sorted. A pattern may stand in the last part only.
 
-def files_of(path: str) -> list[str]:
-    """Files that a path, folder or pattern names, sorted."""
-    local = urlparse(path).path if path.startswith("file:") else path
-    if os.path.isdir(local):
-        return sorted(os.path.join(local, f) for f in os.listdir(local) if not f.startswith((".", "_")) and format_of(f))
-    found = sorted(glob.glob(local)) if glob.has_magic(local) else [local]
-    if not found or not all(os.path.exists(f) for f in found):
+    known: of a folder only the files whose extension names a format.
+    """
+    store, place = _store(path)
+    folder, _, last = place.rpartition("/")
+    prefix = path[: len(path) - len(place)] if path.endswith(place) else path.partition(":")[0] + "://"
+    magic = any(c in last for c in "*?[")
+    info = store.get_file_info(place) if not magic else None
+    if info is not None and info.type == pafs.FileType.File:
+        return [(path, info.size)]
+    if info is not None and info.type != pafs.FileType.Directory:
+        raise FileNotFoundError(path)
+    listed = store.get_file_info(pafs.FileSelector(folder or "." if magic else place, allow_not_found=True))
+    keep = (lambda f: fnmatch.fnmatch(f.base_name, last)) if magic else (lambda f: not f.base_name.startswith((".", "_")) and (not known or format_of(f.base_name)))
+    found = sorted((prefix + f.path, f.size) for f in listed if f.type == pafs.FileType.File and keep(f))
+    if magic and not found:
         raise FileNotFoundError(path)
     return found
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def open_text(path: str, begin: int = 0) -> io.TextIOBase:
+    """Opens a file for reading from a byte on; all members of a ``.gz`` file are read."""
+    store, place = _store(path)
+    raw = store.open_input_file(place)
+    raw.seek(begin)
+    data = io.BufferedReader(raw, 1 << 20)
+    return io.TextIOWrapper(gzip.open(data) if path.endswith(".gz") else data, encoding="utf-8", errors="replace", newline="\n")
+
+
+class _Part(InputPartition):
+    def __init__(self, number: int, path: str, form: str, begin: int, end: int | None):
+        self.number, self.path, self.form, self.begin, self.end = number, path, form, begin, end
+
+
+def _lines_of(path: str, form: str, begin: int, end: int) -> Iterator[str]:
+    """Lines of the records that begin within bytes ``begin`` to ``end`` of a plain file.
+
+    FASTA records begin at a line with ``>``. FASTQ files this large must have four lines a record: one begins at a line
+    with ``@`` of which the next but one begins with ``+``, which no quality line in place of a header can meet.
+    """
+    store, place = _store(path)
+    with store.open_input_file(place) as raw:
+        at = max(0, begin - 1)
+        raw.seek(at)
+        data = io.BufferedReader(raw, 1 << 20)
+        if begin:
+            at += len(data.readline())  # the rest of a line that began earlier
+        held: list[bytes] = []
+        started = begin == 0
+        place_of = at  # where the first held line begins
+        for line in iter(data.readline, b""):
+            held.append(line)
+            if form == "fasta":
+                if line.startswith(b">"):
+                    if place_of >= end:
+                        return
+                    started = True
+                if started:
+                    yield line.decode("utf-8", "replace")
+                place_of += len(line)
+                held.clear()
+                continue
+            if not started and len(held) == 3 and not (held[0].startswith(b"@") and held[2].startswith(b"+")):
+                place_of += len(held.pop(0))
+                continue
+            if len(held) == 3 and not started:
+                started = True
+            if started and len(held) == 4:
+                if place_of >= end:
+                    return
+                if not held[0].startswith(b"@") or not held[2].startswith(b"+"):
+                    raise MalformedRecord(f"{path}, byte {place_of}: a FASTQ file of several tasks needs four lines a record")
+                yield from (x.decode("utf-8", "replace") for x in held)
+                place_of += sum(map(len, held))
+                held.clear()
+        if started and held and place_of < end:
+            yield from (x.decode("utf-8", "replace") for x in held)
 
 
 class FastxReader(DataSourceReader):
@@ -125,35 +207,40 @@ class FastxReader(DataSourceReader):
         self.path = options["path"]
         self.form = options.get("fileformat", "auto").lower()
         self.mode = options.get("mode", "FAILFAST").upper()
+        self.split = int(options.get("splitbytes", SPLIT))
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(f) for f in files_of(self.path)]
-
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        path = partition.path
-        with open_text(path) as lines:
-            form = self.form
-            if form == "auto":
-                form = format_of(path)
-            if form == "sniff" or form is None:
-                first = lines.readline()
-                form, lines = sniff(first), _again(first, lines)
-            if form is None:
-                return
-            rows, size, n = [], 0, 0
-            for name, seq, error in read_records(lines, form):
-                if error is not None and self.mode == "FAILFAST":
-                    raise MalformedRecord(f"{path}, record {n}: {error}")
-                if error is not None and self.mode == "DROPMALFORMED":
-                    n += 1
-                    continue
-                rows.append((n, name, seq, path, error))
-                n, size = n + 1, size + len(seq or "")
-                if size > BATCH or len(rows) >= 10_000:
-                    yield _batch(rows)
-                    rows, size = [], 0
-            if rows:
+        parts: list[InputPartition] = []
+        for path, size in files_of(self.path, self.form == "auto"):
+            form = format_of(path) if self.form == "auto" else self.form
+            whole = form not in ("fasta", "fastq") or path.endswith(".gz") or size <= self.split
+            for begin in [0] if whole else range(0, size, self.split):
+                parts.append(_Part(len(parts), path, form or "sniff", begin, None if whole else begin + self.split))
+        return parts
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        path, form = partition.path, partition.form
+        whole = partition.end is None
+        lines = open_text(path) if whole else _lines_of(path, form, partition.begin, partition.end)
+        if form == "sniff":
+            first = next(iter(lines), "")
+            form, lines = sniff(first), _again(first, lines)
+        if form is None:
+            return
+        rows, size, n = [], 0, partition.number << PLACE_BITS
+        for name, seq, error in read_records(lines, form):
+            if error is not None and self.mode == "FAILFAST":
+                raise MalformedRecord(f"{path}, record {n & ((1 << PLACE_BITS) - 1)}: {error}")
+            if error is not None and self.mode == "DROPMALFORMED":
+                n += 1
+                continue
+            rows.append((n, name, seq, path, error))
+            n, size = n + 1, size + len(seq or "")
+            if size > BATCH or len(rows) >= 10_000:
                 yield _batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows)
 
 
 def _again(first: str, rest: Iterable[str]) -> Iterator[str]:
@@ -166,11 +253,17 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class FastxSource(DataSource):
-    """``spark.read.format("fastx").load(path)``: n (ordinal in its file), id, seq, file, error; a task for each file.
+    """``spark.read.format("fastx").load(path)``: n, id, seq, file, error.
+
+    n is unique and ascends in order of files and of records within them. The first task's records are numbered from 0
+    (so those of a single small file are 0, 1, 2 and so on); each further task starts at a multiple of 2^33, as with
+    ``monotonically_increasing_id``. ``dense_numbers`` closes the gaps. A gzip file is one task; a plain file has a task
+    for each ``splitBytes``, whatever storage it is on.
 
     Options: fileFormat ``auto`` (by extension, else by the first character), ``fasta``, ``fastq`` or ``sniff``; mode
-    ``FAILFAST`` (default), ``PERMISSIVE`` (a malformed record becomes a row with its error) or ``DROPMALFORMED``.
-    Descriptions and qualities are not kept. An empty file gives no rows.
+    ``FAILFAST`` (default), ``PERMISSIVE`` (a malformed record becomes a row with its error) or ``DROPMALFORMED``;
+    splitBytes. FASTQ files above it need four lines a record, smaller ones may wrap. Descriptions and qualities are not
+    kept. An empty file gives no rows.
     """
 
     @classmethod
@@ -188,10 +281,19 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastxSource)
 
 
-def read_fastx(spark: SparkSession, path: str, form: str = "auto", mode: str = "FAILFAST") -> DataFrame:
+def read_fastx(spark: SparkSession, path: str, form: str = "auto", mode: str = "FAILFAST", split: int = SPLIT) -> DataFrame:
     """Sequences of a file, folder or pattern."""
     register(spark)
-    return spark.read.format("fastx").option("fileFormat", form).option("mode", mode).load(path)
+    return spark.read.format("fastx").option("fileFormat", form).option("mode", mode).option("splitBytes", split).load(path)
+
+
+def dense_numbers(df: DataFrame) -> DataFrame:
+    """The same rows with n counted from 0 without gaps, in the same order. Records are counted for each task first."""
+    task = F.shiftright("n", PLACE_BITS).alias("_task")
+    counts = df.groupBy(task).agg(F.count("*").alias("_rows"), F.min("n").alias("_first"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    starts = counts.select("_task", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    return df.withColumn("_task", task).join(starts, "_task").withColumn("n", F.col("n") - F.col("_first") + F.col("_start")).select(df.columns)
 
 
 def read_stream(spark: SparkSession, stream: Iterable[str] | None = None) -> DataFrame:
@@ -209,15 +311,3 @@ def read_stream(spark: SparkSession, stream: Iterable[str] | None = None) -> Dat
 def from_list(spark: SparkSession, sequences: list[str]) -> DataFrame:
     """Sequences of a list: n is the place in it."""
     return spark.createDataFrame(list(enumerate(sequences)), "n bigint, seq string")
-
-
-def read_fasta_split(spark: SparkSession, path: str) -> DataFrame:
-    """Sequences of large uncompressed FASTA files, read by several tasks each: id, seq, file. They have no ordinal.
-
-    Spark's text source cuts the files at record starts, so a file is as parallel as its size allows.
-    """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
-    record = F.regexp_replace("value", "^>", "")
-    head = F.regexp_extract(record, r"^[^\r\n]*", 0)
-    body = F.regexp_replace(F.expr("substring(regexp_replace(value, '^>', ''), length(regexp_extract(regexp_replace(value, '^>', ''), '^[^\\\\r\\\\n]*', 0)) + 1)"), r"\s", "")
-    return raw.where("length(value) > 0").select(F.regexp_extract(head, r"^\S*", 0).alias("id"), F.regexp_replace(body, r"[^\x00-\x7F]", "N").alias("seq"), "file")

@@ -89,6 +89,22 @@ def write_partial_counts(df: DataFrame, folder: str, parts: int) -> None:
     df.select("kmer", "count", F.pmod("kmer", F.lit(parts)).alias("part_no")).repartition("part_no").write.mode("overwrite").partitionBy("part_no").option("sep", "\t").csv(folder)
 
 
+def write_spilled(df: DataFrame, folder: str) -> None:
+    """Partial counts (part_no, chunk_no, kmer, cnt) as text, apart by partition and chunk."""
+    df.select("kmer", "cnt", "part_no", "chunk_no").write.mode("overwrite").partitionBy("part_no", "chunk_no").option("sep", "\t").csv(folder)
+
+
+#: Where a partial count file's path says its partition and chunk: ``...part_p_chunk_c``, or folders ``part_no=p/chunk_no=c``.
+SPILLED = r"part_(?:no=)?(\d+)[/_]chunk_(?:no=)?(\d+)"
+
+
+def read_spilled(spark: SparkSession, path: str) -> DataFrame:
+    """Columns part_no, chunk_no, kmer, cnt of partial counts: a folder of ``write_spilled``, or a pattern of single files."""
+    rows = spark.read.schema("kmer bigint, cnt bigint").option("sep", "\t").option("recursiveFileLookup", "true").csv(path)
+    place = lambda i: F.regexp_extract("_metadata.file_path", SPILLED, i).cast("int")
+    return rows.select(place(1).alias("part_no"), place(2).alias("chunk_no"), "kmer", "cnt")
+
+
 def read_counts(spark: SparkSession, path: str, acgt: bool = False) -> DataFrame:
     """Counts as written above."""
     return spark.read.schema(f"kmer {'string' if acgt else 'bigint'}, count bigint").option("sep", "\t").csv(path)

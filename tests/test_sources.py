@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from helixmill import cli
 from helixmill.operators import minimisers
+from helixmill.operators.counter import merge_counts
 from helixmill.sources import fastx, tables
 from helixmill.streaming.counts import running_counts, sequence_stream, windowed_stats
 
@@ -41,8 +42,59 @@ def test_files(spark, files):
     assert fastx.read_fastx(spark, str(files / "none.fa")).count() == 0
     assert fastx.read_fastx(spark, str(files)).count() == 6
     assert fastx.read_fastx(spark, str(files / "reads.*"), form="sniff").count() == 6
-    split = fastx.read_fasta_split(spark, str(files / "reads.fa")).orderBy("id").collect()
-    assert [(r["id"], r["seq"]) for r in split] == [("Record_1", READS[0]), ("Record_2", READS[1])]
+    assert fastx.read_fastx(spark, "file://" + str(files / "reads.fa")).count() == 2
+    assert fastx.read_fastx(spark, "file:" + str(files)).count() == 6
+    with pytest.raises(Exception, match="nowhere"):
+        fastx.read_fastx(spark, str(files / "nowhere.fa")).count()
+    every = fastx.read_fastx(spark, str(files)).collect()
+    assert len({r["n"] for r in every}) == 6  # ordinals are unique over all files
+    dense = fastx.dense_numbers(fastx.read_fastx(spark, str(files))).orderBy("n").collect()
+    assert [r["n"] for r in dense] == list(range(6)) and [r["id"] for r in dense] == [r["id"] for r in sorted(every, key=lambda r: r["n"])]
+
+
+@pytest.mark.parametrize("size", [1, 7, 50, 97, 1000])
+def test_parts_of_a_file(tmp_path, size):
+    """Every record comes out of exactly one part, wherever the parts are cut."""
+    records = [(f"r{i}", "ACGT" * (i % 5)) for i in range(20)]
+    fasta = "".join(f">{n} >x\n{s[:5]}\n{s[5:]}\n" for n, s in records)
+    fastq = "".join(f"@{n} +\n{s}\n+@\n{'@' * len(s)}\n" for n, s in records)
+    for form, text in (("fasta", fasta), ("fastq", fastq), ("fastq", fastq.rstrip("\n") if records[-1][1] else fastq)):
+        path = tmp_path / f"x.{form}"
+        path.write_text(text)
+        reader = fastx.FastxReader({"path": str(path), "splitbytes": str(size)})
+        got = [(r["n"], r["id"], r["seq"]) for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+        assert [x[1:] for x in got] == records
+        assert [x[0] for x in got] == sorted({x[0] for x in got})
+
+
+def test_wrapped_fastq_of_several_parts(tmp_path):
+    path = tmp_path / "x.fq"
+    path.write_text("@a\nACGT\nACGT\n+\nIIII\nIIII\n" * 9)
+    whole = fastx.FastxReader({"path": str(path)})
+    assert sum(b.num_rows for p in whole.partitions() for b in whole.read(p)) == 9
+    parts = fastx.FastxReader({"path": str(path), "splitbytes": "40"})
+    with pytest.raises(fastx.MalformedRecord):
+        [b for p in parts.partitions() for b in parts.read(p)]
+
+
+def test_sequences_of_two_files_stay_apart(spark, tmp_path):
+    from helixmill.operators.coverage import coverage_histograms
+
+    for name, seq in (("a.fa", READS[0]), ("b.fa", READS[1])):
+        (tmp_path / name).write_text(f">x\n{seq}\n")
+    rows = fastx.read_fastx(spark, str(tmp_path))
+    assert coverage_histograms(rows, 7).count() == 2
+
+
+def test_spilled_counts(spark, tmp_path):
+    for part, chunk, text in ((0, 0, "1\t1\n2\t2\n"), (0, 1, "1\t3\n2\t4\n"), (1, 0, "11\t10\n22\t20\n"), (1, 1, "11\t12\n23\t24\n")):
+        (tmp_path / f"temp_kmers.part_{part}_chunk_{chunk}").write_text(text)
+    rows = tables.read_spilled(spark, str(tmp_path / "temp_kmers.part_*_chunk_*"))
+    assert rows.where("part_no = 1 and chunk_no = 1").count() == 2
+    want = {1: 4, 2: 6, 11: 22, 22: 20, 23: 24}
+    assert {r["kmer"]: r["count"] for r in merge_counts(rows, 15, once=False).collect()} == want
+    tables.write_spilled(rows, str(tmp_path / "again"))
+    assert {r["kmer"]: r["count"] for r in merge_counts(tables.read_spilled(spark, str(tmp_path / "again")), 15, once=False).collect()} == want
 
 
 def test_malformed(spark, tmp_path):
