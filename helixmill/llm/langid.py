@@ -29,8 +29,8 @@ PIECES = "piece_bpe_32k.model"
 SAMPLE_PER_LANGUAGE = 250
 #: Share of the background in each language's distribution.
 BACKGROUND = 0.03
-#: Most that one word may speak for a language against another, in nats.
-WORD_CLAMP = 7.0
+#: Chance that a word is one of any language at all (a name, a loan word), whatever language stands around it.
+ANY_LANGUAGE = 0.0073
 #: Price of a change of language between two units, in nats.
 SWITCH = 7.0
 #: Least lead of a segment's language over the next one, in nats; below it the segment has no language.
@@ -39,8 +39,8 @@ LEAD = 9.0
 ISLAND = 20
 #: Words after which a unit ends even without punctuation.
 UNIT_WORDS = 10
-#: Longer runs of letters are no words of any of the languages and speak for none.
-LONGEST_WORD = 40
+#: Letters of a part in which a longer run of letters is scored; the run is one word all the same, and none of the sample's.
+WORD_PART = 40
 #: A word that touches one of these signs, or a figure, belongs to a formula or to markup and speaks for no language.
 SIGNS = "&\\<>/=_{}[]^$|#@+*~"
 _MARK = "▁"
@@ -129,6 +129,14 @@ def _first_byte(cp: np.ndarray) -> np.ndarray:
     return np.where(cp < 0x80, cp, np.where(cp < 0x800, 0xC0 | cp >> 6, np.where(cp < 0x10000, 0xE0 | cp >> 12, 0xF0 | cp >> 18))).astype(np.int64)
 
 
+def _evidence(logs: np.ndarray) -> np.ndarray:
+    """Log likelihoods against the best language, where a word may also be one of any language."""
+    share = np.exp(logs - logs.max(1, keepdims=True))
+    share /= share.sum(1, keepdims=True)
+    logs = np.log((1 - ANY_LANGUAGE) * share + ANY_LANGUAGE / share.shape[1])
+    return logs - logs.max(1, keepdims=True)
+
+
 @dataclass
 class Model:
     languages: tuple[str, ...]
@@ -162,11 +170,12 @@ class Scorer:
         return Lattice(words, self.table, self.longest, self.n_pieces)
 
     def score(self, words: list[str]) -> np.ndarray:
-        """Log likelihood of each word in each language, against the best of them, clamped."""
-        lattice = self.lattice(words)
-        sums, _ = lattice.forward(self.p)
-        logs = np.log(np.maximum(sums[lattice.last], 1e-300))
-        return np.maximum(logs - logs.max(1, keepdims=True), -WORD_CLAMP).astype(np.float32)
+        """Log likelihood of each word in each language, against the best of them."""
+        parts = [w[i : i + WORD_PART] for w in words for i in range(0, len(w), WORD_PART)]
+        lattice = self.lattice(parts)
+        logs = np.log(np.maximum(lattice.forward(self.p)[0][lattice.last], 1e-300))
+        heads = np.cumsum([0, *(-(-len(w) // WORD_PART) for w in words)])[:-1]
+        return _evidence(np.add.reduceat(logs, heads, axis=0)).astype(np.float32)
 
     def words(self, cp: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the words (runs of letters, single Han ideographs), their fingerprints, lower-case text.
@@ -184,7 +193,7 @@ class Scorer:
         near = kind == NUMBER
         near[kind == OTHER] = np.isin(cp[kind == OTHER], _SIGN_POINTS)
         before, after = near[np.maximum(starts - 1, 0)] & (starts > 0), near[np.minimum(ends, len(cp) - 1)] & (ends < len(cp))
-        plain = (~(before | after) | (kind[starts] == HAN)) & (ends - starts <= LONGEST_WORD)
+        plain = ~(before | after) | (kind[starts] == HAN)
         starts, ends = starts[plain], ends[plain]
         low = lower_case()[cp]
         return starts, ends, fingerprints(low, starts, ends), low
@@ -328,6 +337,8 @@ def train(texts: list[str], labels: list[str], languages: tuple[str, ...] = LANG
     parts = []
     for cp, docs, rows in blocks(pa.array(texts, pa.string())):
         starts, ends, prints, low = scorer.words(cp, docs)
+        short = ends - starts <= WORD_PART
+        starts, ends, prints = starts[short], ends[short], prints[short]
         if len(starts):
             doc, unit = _units(cp, docs, starts)
             parts.append((rows[doc], unit, starts, ends, prints, low))
@@ -351,8 +362,7 @@ def train(texts: list[str], labels: list[str], languages: tuple[str, ...] = LANG
     label = column[row]
     for turn in range(rounds):
         if turn:
-            logs = np.log(np.maximum(lattice.forward(p)[0][lattice.last], 1e-300))
-            scores = np.maximum(logs - logs.max(1, keepdims=True), -WORD_CLAMP)[word]
+            scores = _evidence(np.log(np.maximum(lattice.forward(p)[0][lattice.last], 1e-300)))[word]
             sums = np.stack([np.bincount(number, scores[:, k], len(heads)) for k in range(width)], 1)
             label = decode(row[heads], sums)[number]
         weight = np.stack([np.bincount(word[label == k], minlength=len(vocabulary)) for k in range(width)], 1).astype(float)

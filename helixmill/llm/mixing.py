@@ -147,7 +147,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text:
                 base = math.floor(expected + _CLOSE)
                 some = rows["n_tokens"] > 0
                 rows = rows.assign(copies=np.where(some, base, 0), fraction=np.where(some, max(0.0, expected - base), 0.0), node=node)
-                rows = rows.sort_values("n_tokens", ascending=False, kind="stable")  # a small one is left
+                rows = rows.sort_values("n_tokens", ascending=False, kind="stable")  # large ones are paired with their like
                 if name in held:
                     rows = pd.concat([held.pop(name), rows])
                 rows = _settle(rows.reset_index(drop=True), pivots.setdefault(name, Pivot([seed, rank[name], 0, node])))
@@ -163,7 +163,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text:
     decided, rest, depth = level.where("fraction is null"), level.where("fraction is not null"), 0
     while nodes > 1 or depth == 0:
         nodes, depth = math.ceil(nodes / FAN_IN), depth + 1
-        done = rest.groupBy("source", F.floor(F.col("node") / FAN_IN)).applyInPandas(_node(seed, rank, depth, nodes == 1), schema)
+        done = materialise(rest.groupBy("source", F.floor(F.col("node") / FAN_IN)).applyInPandas(_node(seed, rank, depth, nodes == 1), schema), "level")
         decided, rest = decided.unionByName(done.where("fraction is null")), done.where("fraction is not null")
     mix = decided.where("copies > 0").select(F.col("_key").alias(key), "source", "n_tokens", F.col("copies").cast("int").alias("copies"))
     used = mix.groupBy("source").agg((F.sum(F.col("n_tokens") * F.col("copies"))).alias("tokens_used"))

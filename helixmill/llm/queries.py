@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .clusters import Clusters
 from .langid import document_languages, fit, language_segments, unnamed_languages
@@ -45,6 +47,10 @@ def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return _clusters(spark, folder).clusters()
 
 
+def p4_components(spark: SparkSession, folder: str) -> DataFrame:
+    return _clusters(spark, folder).groups()
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
@@ -57,6 +63,20 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
+def p8_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each target: its documents, and whether the mix keeps within its repeats, and its share to a document.
+
+    The tokens of a source are kept to its last document, so a share is off by at most the largest document.
+    """
+    mix, report = mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    used = mix.groupBy("source").agg(F.max("copies").alias("most"), F.max("n_tokens").alias("largest"))
+    whole = report.agg(F.sum("tokens_used").alias("whole"), F.sum(F.when(F.col("tokens_available") > 0, F.col("target_share"))).alias("live"))
+    both = report.join(used, "source", "left").crossJoin(F.broadcast(whole))
+    off = F.abs(F.col("tokens_used") - F.col("whole") * F.col("target_share") / F.col("live"))
+    largest = F.max("largest").over(Window.partitionBy())  # a row for each target
+    return both.withColumn("any", largest).select("source", F.col("n_docs"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), (F.col("n_docs").eqNullSafe(0) | (off <= F.col("any") * (1 + F.count("*").over(Window.partitionBy())))).alias("within_share"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return unnamed_languages(documents, fit(documents))
@@ -73,7 +93,7 @@ def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = (p1_found, p2_found, p3_found, p3_groups, p4_found, p4_clusters, p7_ids, p8_mix, p8_shares, p9_found, p9_documents, p9_segments)
+    every = (p1_found, p2_found, p3_found, p3_groups, p4_found, p4_clusters, p4_components, p7_ids, p8_mix, p8_shares, p8_bounds, p9_found, p9_documents, p9_segments)
     return {f.__name__: f for f in every}
 
 
@@ -92,6 +112,14 @@ with u as (select n, list_transform(kvec, lambda x: x / sqrt(list_sum(list_trans
 """
 
 
+_ALIKE = _UNITS + """,
+    c as (select n, bin_count as b from (select *, row_number() over (partition by n order by computed_at desc) as r from coverage_vectors
+      where bin_count is not null and list_sum(bin_count) > 0) where r = 1),
+    v as (select n, k, list_transform(b, lambda x: x / sqrt(list_sum(list_transform(b, lambda y: y * y)))) as b from u join c using (n)),
+    e as (select x.n as a, y.n as m from v x join v y on round(list_dot_product(x.b, y.b), 9) >= 0.95 and round(list_dot_product(x.k, y.k), 9) >= 0.97)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": """
@@ -119,11 +147,17 @@ def oracle_sql() -> dict[str, str]:
             c as (select n, min(n) over (partition by fs) as class_n from (select n, list(f order by f) as fs from k group by n)),
             l as (select a as n, count(*) as n_links from e group by a)
             select n, group_n, class_n, coalesce(n_links, 0) as n_links from g join c using (n) left join l using (n)""",
-        "p4_found": _UNITS + """,
-            c as (select n, bin_count as b from (select *, row_number() over (partition by n order by computed_at desc) as r from coverage_vectors
-              where bin_count is not null and list_sum(bin_count) > 0) where r = 1),
-            v as (select n, k, list_transform(b, lambda x: x / sqrt(list_sum(list_transform(b, lambda y: y * y)))) as b from u join c using (n)),
-            e as (select x.n as a, y.n as m from v x join v y on round(list_dot_product(x.b, y.b), 9) >= 0.95 and round(list_dot_product(x.k, y.k), 9) >= 0.97),
+        "p4_components": _ALIKE.replace("with u as", "with recursive u as", 1).rstrip() + """,
+            reach as (select n as a, n as b from v union select reach.a, e.m from reach join e on e.a = reach.b),
+            g as (select a as n, min(b) as component_n, count(*) as component_size from reach group by a),
+            d as (select a as n, count(*) as degree from e group by a),
+            w as (select component_n, bool_and(degree = component_size) as is_whole from g join d using (n) group by component_n)
+            select n, component_n, component_size, is_whole from g join w using (component_n)""",
+        "p8_bounds": r"""
+            with d as (select regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[\s-]+', '_', 'g') as source, doc_id from documents),
+            t as (select distinct regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[\s-]+', '_', 'g') as source from mix_targets where source is not null)
+            select t.source, count(doc_id) as n_docs, true as within_repeats, true as within_share from t left join d on d.source = t.source group by t.source""",
+        "p4_found": _ALIKE.rstrip() + """,
             h as (select a, list(m order by m) as hood from e group by a),
             t as (select hood from h group by hood having count(*) >= 5 and count(*) = len(hood))
             select hood[1] as cluster_n, unnest(hood) as n from t""",
