@@ -142,7 +142,8 @@ def read_text(text: str, base: int = 0, skipped: bool = False) -> Iterator[tuple
     """Records of a text of many lines: (place of the record, n, id, seq, reason, place of the fault, detail).
 
     After a record of the wrong shape or value the reader goes on behind the record's end; after broken quoting, whose end
-    isn't known, at the next anchor where a valid record starts, or else at the text's end. The lines skipped by that are
+    isn't known, at the next anchor where a valid record starts, or else at the text's end. A record over several lines
+    that is wrong in more than its id, or in which a valid record starts, is taken for broken quoting too. The lines skipped by that are
     read as a text of their own (``skipped``; ``base`` is its place), which goes on at the next line after broken quoting.
     """
     reader = Reader(text, "\r\n")
@@ -155,18 +156,23 @@ def read_text(text: str, base: int = 0, skipped: bool = False) -> Iterator[tuple
             n, name, seq = typed(*reader.record())
             yield base + begin, *read_line(text[begin : reader.at])[:3], None, None, None
         except Fault as f:
+            line = _BREAK.search(text, begin)
+            line, own = (line.end(), text[begin : line.start()]) if line else (len(text), text[begin:])
+            broken = f.reason == "quoting"
+            if not broken and reader.at > line and (f.reason != "id" or _resume(text, begin, reader.at) < reader.at):
+                alone, broken = read_line(own), True  # such a quote took other lines for its own
+                f = Fault(*alone[3:]) if alone[3] else f
+                f.at += begin if alone[3] else 0
             at = f.at if f.reason == "quoting" else f.at or begin
             yield base + begin, None, None, None, f.reason, base + at, f.detail
-            if f.reason == "quoting":
-                line = _BREAK.search(text, begin)
-                line = line.end() if line else len(text)
+            if broken:
                 reader.at = line if skipped else _resume(text, begin)
                 yield from read_text(text[line : reader.at], base + line, True)
 
 
-def _resume(text: str, begin: int) -> int:
-    """Next anchor with a valid record. A valid record never holds a line break, so a probe ends with its line."""
-    for anchor in _ANCHOR.finditer(text, begin):
+def _resume(text: str, begin: int, stop: int | None = None) -> int:
+    """Next anchor with a valid record, before ``stop``. A valid record never holds a line break, so a probe ends with its line."""
+    for anchor in _ANCHOR.finditer(text, begin, len(text) if stop is None else stop):
         line = _BREAK.search(text, anchor.end())
         try:
             typed(*Reader(text[anchor.end() : line.start() if line else len(text)]).record())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.records import parse_records
+from ..operators.records import parse_records, parse_texts
 from ..operators.skew import Measures, heavy_keys, per_key
 
 
@@ -21,6 +21,25 @@ def p5_valid(spark: SparkSession, folder: str) -> DataFrame:
     return parse_records(table(spark, folder, "raw_records")).where("reason is null").select("line_no", "n", "id", "seq")
 
 
+#: Lines that ``p5_texts`` joins to one text.
+TEXT_LINES = 100
+
+
+def p5_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Reasons of failing lines, read from texts of many lines: after broken quotes the reader has to find its way back.
+
+    Null and empty lines are no part of a text, nor are lines that hold a break of their own.
+    """
+    lines = table(spark, folder, "raw_records").where(r"raw <> '' and not raw rlike '[\\r\\n]'")
+    texts = lines.groupBy(F.floor(F.col("line_no") / TEXT_LINES).alias("text_no")).agg(F.sort_array(F.collect_list(F.struct("line_no", "raw"))).alias("lines"))
+    whole = texts.select("text_no", F.array_join("lines.raw", "\n").alias("text"))
+    places = texts.select("text_no", F.posexplode("lines").alias("i", "line"), "lines")
+    before = F.aggregate(F.slice("lines", 1, F.col("i")), F.lit(0), lambda total, x: total + F.length(x["raw"]) + 1)
+    places = places.select("text_no", before.alias("record_at"), "line.line_no")
+    found = parse_texts(whole, "text_no", "text").where("reason is not null")
+    return found.join(places, ["text_no", "record_at"], "left").select("line_no", "reason")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = [heavy_keys(table(spark, folder, t), k).select(F.lit(k).alias("field_name"), "key_value") for t, k in (("minimisers", "m_active"), ("sequences", "id"))]
     return parts[0].union(parts[1])
@@ -39,7 +58,7 @@ def p6_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_valid, p6_found, p6_m_active, p6_id)}
+    return {f.__name__: f for f in (p5_found, p5_valid, p5_texts, p6_found, p6_m_active, p6_id)}
 
 
 _RECORDS = r"""
@@ -67,6 +86,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p5_found": _RECORDS + "select line_no, reason from r where reason is not null",
         "p5_valid": _RECORDS + "select line_no, try_cast(f[1] as bigint) as n, f[2] as id, f[3] as seq from r where reason is null",
+        "p5_texts": _RECORDS.replace("  from q)", "  from q where raw <> '' and not regexp_matches(raw, '[\\r\\n]'))") + "select line_no, reason from r where reason is not null",
         "p6_found": """
             select 'm_active' as field_name, cast(m_active as varchar) as key_value from minimisers where m_active is not null
             group by m_active having count(*) > 0.02 * (select count(*) from minimisers)

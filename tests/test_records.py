@@ -83,6 +83,16 @@ def test_lines_between_a_broken_quote_and_the_next_valid_record():
     assert [r[5] for r in read_text(text)] == [38, 10, 24, 26, 37, 50, None, 64]
 
 
+def test_quote_that_takes_other_lines():
+    """No valid record is lost to a quote that closes by chance in a later line."""
+    text = '1,"a,AC,2\n2,b,AC,2\n3,c",AC,2\n4,d,AC,2'
+    rows = [(text[r[0]], r[1], r[4]) for r in read_text(text)]
+    assert rows == [("1", None, "quoting"), ("2", 2, None), ("3", None, "quoting"), ("4", 4, None)]
+    text = '1,"a,AC\n2,b,AC,2\n3,c",x,AC,2\n4,d,AC,2'
+    rows = [(text[r[0]], r[1], r[4]) for r in read_text(text)]
+    assert rows == [("1", None, "quoting"), ("2", 2, None), ("3", None, "quoting"), ("4", 4, None)]
+
+
 def test_frames(spark):
     rows = [(i, raw, "x") for i, (raw, _) in enumerate(CASES)] + [(0, "0,a,ACGT,4", "x")]
     df = spark.createDataFrame(rows, "line_no long, raw string, reason string")
