@@ -8,6 +8,7 @@ import io
 import re
 import sys
 from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -143,6 +144,11 @@ def files_of(path: str, known: bool = False) -> list[tuple[str, int]]:
     return found
 
 
+def delete_file(path: str) -> None:
+    store, place = _store(unquote(path))
+    store.delete_file(place)
+
+
 def open_text(path: str, begin: int = 0) -> io.TextIOBase:
     """Opens a file for reading from a byte on; all members of a ``.gz`` file are read."""
     store, place = _store(path)

@@ -105,6 +105,18 @@ def read_spilled(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(place(1).alias("part_no"), place(2).alias("chunk_no"), "kmer", "cnt")
 
 
+def merge_spilled(spark: SparkSession, path: str, out: str, k: int, acgt: bool = False, delete: bool = False) -> None:
+    """Merges partial counts into the folder ``out``, every row counted; with ``delete`` the files read go afterwards."""
+    from ..operators.counter import merge_counts
+    from .fastx import delete_file
+
+    rows = read_spilled(spark, path)
+    files = [r[0] for r in rows.select(F.input_file_name()).distinct().collect()] if delete else []  # a name for each spilled file
+    write_counts(merge_counts(rows, k, acgt, once=False), out)
+    for file in files:
+        delete_file(file)
+
+
 def read_counts(spark: SparkSession, path: str, acgt: bool = False) -> DataFrame:
     """Counts as written above."""
     return spark.read.schema(f"kmer {'string' if acgt else 'bigint'}, count bigint").option("sep", "\t").csv(path)

@@ -93,8 +93,14 @@ def test_spilled_counts(spark, tmp_path):
     assert rows.where("part_no = 1 and chunk_no = 1").count() == 2
     want = {1: 4, 2: 6, 11: 22, 22: 20, 23: 24}
     assert {r["kmer"]: r["count"] for r in merge_counts(rows, 15, once=False).collect()} == want
+    tables.merge_spilled(spark, str(tmp_path / "temp_kmers.part_*_chunk_*"), str(tmp_path / "kept"), 15)
+    assert len(list(tmp_path.glob("temp_kmers.*"))) == 4
     tables.write_spilled(rows, str(tmp_path / "again"))
     assert {r["kmer"]: r["count"] for r in merge_counts(tables.read_spilled(spark, str(tmp_path / "again")), 15, once=False).collect()} == want
+    tables.merge_spilled(spark, str(tmp_path / "temp_kmers.part_*_chunk_*"), str(tmp_path / "merged"), 15, acgt=True, delete=True)
+    texts = {r["kmer"]: r["count"] for r in tables.read_counts(spark, str(tmp_path / "merged"), acgt=True).collect()}
+    assert texts == {"A" * 14 + "C": 4, "A" * 14 + "G": 6, "A" * 13 + "GT": 22, "A" * 12 + "CCG": 20, "A" * 12 + "CCT": 24}
+    assert not list(tmp_path.glob("temp_kmers.*")) and (tmp_path / "kept").exists()
 
 
 def test_malformed(spark, tmp_path):
