@@ -89,17 +89,27 @@ def corner(base: Column, axis: str, size: float) -> Column:
     return F.when(up.isin("A", "C", "G", "T", "U"), F.when(up.isin(*high), F.lit(float(size))).otherwise(F.lit(0.0)))
 
 
-#: SQL text of the functions that ``register`` makes; they are inlined into the plan.
+#: Windows of a piece when ``kmer_table`` cuts a sequence: a place in a text is found by counting from its start.
+PIECE = 32
+#: SQL of the pieces of s (b: where it begins, p: its letters, r: their reverse complement, e: its last window), and of the
+#: windows of a piece x.
+_PIECES = f"""transform(
+            transform(if(k > 0 AND length(s) >= k, sequence(0, length(s) - k, {PIECE}), array()),
+                b -> struct(b AS b, regexp_replace(translate(substring(s, b + 1, {PIECE} - 1 + k), 'acgtuU', 'ACGTTT'), '[^ACGT]', 'N') AS p)),
+            x -> struct(x.b AS b, x.p AS p, reverse(translate(x.p, 'ACGT', 'TGCA')) AS r, length(x.p) - k AS e))"""
+_EVERY = "transform(sequence(0, x.e), i -> struct(x.b + i AS pos, least(substring(x.p, i + 1, k), substring(x.r, x.e - i + 1, k)) AS kmer))"
+_WINDOWS = f"x -> if(contains(x.p, 'N'), filter({_EVERY}, y -> NOT contains(y.kmer, 'N')), {_EVERY})"
+
+#: SQL text of the functions that ``register`` makes; they are inlined into the plan. The body of ``kmer_table`` is one
+#: generator over the sequence itself: with a filter or a subquery around it, Spark joins the windows of all distinct sequences
+#: back to the table by the sequence, which travels with each of its windows.
 SQL_FUNCTIONS = {
     "kmer_normalise(s STRING) RETURNS STRING": "regexp_replace(translate(s, 'acgtuU', 'ACGTTT'), '[^ACGT]', 'N')",
     "kmer_revcomp(s STRING) RETURNS STRING": "reverse(translate(s, 'ACGT', 'TGCA'))",
     "kmer_canonical(s STRING) RETURNS STRING": "least(s, reverse(translate(s, 'ACGT', 'TGCA')))",
     "kmer_encode(s STRING) RETURNS BIGINT": "if(s rlike '^[ACGT]{1,31}$', cast(conv(translate(s, 'ACGT', '0123'), 4, 10) as bigint), null)",
     "kmer_decode(c BIGINT, k INT) RETURNS STRING": "translate(lpad(conv(cast(c as string), 10, 4), k, '0'), '0123', 'ACGT')",
-    "kmer_table(s STRING, k INT) RETURNS TABLE (pos INT, kmer STRING)": """SELECT pos, least(f, reverse(translate(f, 'ACGT', 'TGCA')))
-        FROM (SELECT posexplode(if(length(t) >= k, transform(sequence(1, length(t) - k + 1), i -> substring(t, i, k)), array())) AS (pos, f)
-            FROM (SELECT regexp_replace(translate(s, 'acgtuU', 'ACGTTT'), '[^ACGT]', 'N') AS t))
-        WHERE f rlike '^[ACGT]+$'""",
+    "kmer_table(s STRING, k INT) RETURNS TABLE (pos INT, kmer STRING)": f"SELECT inline(flatten(transform({_PIECES}, {_WINDOWS}))) AS (pos, kmer)",
     "kmer_windows(s STRING, k INT) RETURNS ARRAY<STRING>": "if(length(s) >= k, transform(sequence(1, length(s) - k + 1), i -> substring(s, i, k)), array())",
 }
 

@@ -109,6 +109,22 @@ def test_codec(spark):
         kmers.position_codes(13)
 
 
+def test_kmer_table_moves_nothing(spark):
+    """Windows come from the row itself, however long it is; no sequence travels with its windows."""
+    codec.register(spark)
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ACGTacguN", [9] * 8 + [1], k=size)) for size in (*range(9), 31, 36, 37, 38, 69, 70, 1000)]
+    texts += [texts[-1], "ACGTAé\nACGTACGT", "NNNNNNNNN", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "n long, seq string").createOrReplaceTempView("kmer_table_rows")
+    for k in (1, 6, 31):
+        got = spark.sql(f"SELECT n, pos, kmer FROM kmer_table_rows, LATERAL kmer_table(seq, {k})")
+        want = [(n, i, min(f, revcomp(f))) for n, text in enumerate(texts) for i, f in windows(text or "", k)]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    assert spark.sql("SELECT n, pos, kmer FROM kmer_table_rows, LATERAL kmer_table(seq, 0)").count() == 0
+
+
 def test_pairs(spark):
     assert list(api.KmerGenerator("ACGT", 2)) == [(1, 11), (6, 6), (11, 1)]
     assert list(api.KmerGenerator("ACNGTT", 2)) == [(1, 11), (11, 1), (15, 0)]
